@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, near_dedup, substring_dedup
+from quern.llm import mixing, near_dedup, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies, on the driver and on executors alike."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    out = token_counts.token_counts(docs, tokenizer_path("byte_bpe_50k.json"), carry=["doc_id", "n_bytes"])
+    return out.select("row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.classes(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("row.doc_id", "class_id", "class_size", F.col("row.doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
@@ -30,7 +43,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_near_dedup": op4_near_dedup, "op8_mixing": op8_mixing, "op10_substring_dedup": op10_substring_dedup}
+    return {"op2_token_counts": op2_token_counts, "op4_near_dedup": op4_near_dedup, "op8_mixing": op8_mixing, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
