@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, near_dedup, substring_dedup, token_counts
+from quern.llm import mixing, near_dedup, sentencepiece, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), carry=["doc_id"], check=True)
+    return out.select("row.doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("same").alias("round_trip"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     out = token_counts.token_counts(docs, tokenizer_path("byte_bpe_50k.json"), carry=["doc_id", "n_bytes"])
@@ -43,7 +48,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts, "op4_near_dedup": op4_near_dedup, "op8_mixing": op8_mixing, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_token_counts": op2_token_counts, "op4_near_dedup": op4_near_dedup, "op8_mixing": op8_mixing, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
