@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, near_dedup, sentencepiece, substring_dedup, token_counts
+from quern.llm import html_extract, mixing, near_dedup, quality, sentencepiece, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    return out.select("row.doc_id", quality.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.classes(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("row.doc_id", "class_id", "class_size", F.col("row.doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
@@ -42,13 +48,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).select("row.page_id", "row.url", "text", "n_chars")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_token_counts": op2_token_counts, "op4_near_dedup": op4_near_dedup, "op8_mixing": op8_mixing, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op8_mixing": op8_mixing, "op9_html_extract": op9_html_extract, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
