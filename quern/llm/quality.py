@@ -24,8 +24,8 @@ from quern.llm import words as W
 from quern.session import ship
 
 PASSAGE = 64
-MOST_TRAINED, MOST_PASSAGES = 4000, 32
-HIDDEN, GATES, ROUNDS, SEED = 16, 8, 300, 5
+MOST_TRAINED, MOST_PASSAGES = 4000, 12
+HIDDEN, GATES, ROUNDS, SEED = 16, 8, 150, 5
 THRESHOLD = 0.3
 #: Byte classes: lower case, upper case, digits, non-ASCII, marks of sentences, ! and ?, |, brackets and quotes, other symbols, the rest.
 _CLASS = np.full(256, 9, np.uint8)
@@ -107,7 +107,7 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray
         for k, g in grad.items():
             one[k] = 0.9 * one[k] + 0.1 * g
             two[k] = 0.999 * two[k] + 0.001 * g * g
-            p[k] = p[k] - 0.02 * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
+            p[k] = p[k] - 0.03 * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
     return p | {"mean": mean, "scale": scale}
 
 
