@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import embedding_dedup, html_extract, mixing, near_dedup, neighbours, quality, sentencepiece, substring_dedup, token_counts
+from quern.llm import embedding_dedup, html_extract, katz, mixing, near_dedup, neighbours, quality, sentencepiece, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "class_id", "class_size", F.col("row.doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = katz.scores(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(rows, rows.where(neighbours.asked_every(F.col("vec_id"), 20)), k=20)
@@ -68,7 +73,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_neighbours": op6_neighbours, "op7_embedding_dedup": op7_embedding_dedup, "op8_mixing": op8_mixing, "op9_html_extract": op9_html_extract, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_katz": op5_katz, "op6_neighbours": op6_neighbours, "op7_embedding_dedup": op7_embedding_dedup, "op8_mixing": op8_mixing, "op9_html_extract": op9_html_extract, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
