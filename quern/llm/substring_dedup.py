@@ -1,7 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark, merged into maximal removal intervals.
 
 Each task sends its windows' hashes to the part that the hash names, packed as numpy arrays; the part finds hashes that occur more than
-once and answers with the windows' places; the answers meet their documents again by a 128-bit key of identifier and text.
+once and answers each batch with the windows' places; the answers meet their documents again by a 128-bit key of identifier and text.
 
 Defined cases: a null text has no words; texts shorter than the window keep everything; rows repeated as they are count as other
 places, so their shared windows go from each of them; a null identifier is an identifier like any other; an empty table gives an empty
@@ -15,17 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import words as W
+from quern.llm.packing import packed, unpacked
 from quern.session import parts_for, ship
 
 #: Stored input bytes for which there is one part; a part's task needs about 15 times as much memory.
-PART_BYTES = 16 << 20
-_PACKED = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("firsts", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
-_PLACES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("places", pa.binary())])
+PART_BYTES = 12 << 20
+_SENT = pa.schema([("part", pa.int32()), ("batch", pa.string()), ("keys", pa.binary()), ("data", pa.binary())])
+_PLACES = pa.schema([("batch", pa.string()), ("keys", pa.binary()), ("data", pa.binary())])
 
 
 def _send(window: int, parts: int):
@@ -36,56 +38,65 @@ def _send(window: int, parts: int):
                 h, first = W.rolling(words, at, window)
                 if not len(h):
                     continue
-                keys = np.stack([piece.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2")], 1)
+                keys = packed(*(piece.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("k1", "k2")))
                 text = np.searchsorted(at, first, "right") - 1
-                place = (first - at[text]).astype(np.uint32)
+                place = first - at[text]
                 part = (h >> np.uint64(40)).astype(np.int64) % parts
                 order = np.argsort(part, kind="stable")
                 h, text, place = h[order], text[order], place[order]
                 bounds = np.searchsorted(part[order], np.arange(parts + 1))
-                rows = []
-                for p in range(parts):
+                name = xxhash.xxh3_128_hexdigest(keys + h.tobytes())
+                rows = [(int(name[:8], 16) % parts, name, keys, None)]
+                for p in np.flatnonzero(np.diff(bounds)):
                     a, b = bounds[p], bounds[p + 1]
-                    if a < b:
-                        t = text[a:b]
-                        new = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-                        short = place[a:b].max() < 1 << 16
-                        rows.append((p, h[a:b].tobytes(), (place[a:b].astype(np.uint16) if short else place[a:b]).tobytes(), np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), keys[t[new]].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED)], schema=_PACKED)
+                    new = np.flatnonzero(np.concatenate(([True], text[a + 1 : b] != text[a : b - 1])))
+                    rows.append((p, name, None, packed(h[a:b], place[a:b], np.diff(np.append(new, b - a)), text[a:b][new])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
     return send
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """The places of windows whose hash occurs more than once in this part; one row for each document that has some."""
-    hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-    ordered = np.sort(np.concatenate(hashes))
-    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    del ordered
-    found = []
-    if len(again):
-        for h, firsts, counts, keys in zip(hashes, table.column("firsts"), table.column("counts"), table.column("keys")):
+    """The places of windows whose hash occurs more than once in this part, by batch; batches' keys pass through."""
+    out, sent = [], []
+    for name, keys, data in zip(table.column("batch").to_pylist(), table.column("keys").to_pylist(), table.column("data")):
+        if keys is not None:
+            out.append((name, keys, None))
+        else:
+            sent.append((name, unpacked(data.as_buffer().to_pybytes())))
+    if sent:
+        ordered = np.sort(np.concatenate([x[0] for _, x in sent]))
+        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        del ordered
+        for name, (h, place, counts, texts) in sent if len(again) else ():
             near = np.minimum(np.searchsorted(again, h), len(again) - 1)
             hit = np.flatnonzero(again[near] == h)
             if len(hit):
-                f = firsts.as_buffer()
-                place = np.frombuffer(f, np.uint16 if len(f) == 2 * len(h) else np.uint32)
-                text = np.repeat(np.arange(len(c := np.frombuffer(counts.as_buffer(), np.uint32))), c)[hit]
-                found.append(np.column_stack([np.frombuffer(keys.as_buffer(), np.int64).reshape(-1, 2)[text], place[hit].astype(np.int64)]))
+                out.append((name, None, packed(np.repeat(texts, counts)[hit], place[hit])))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PLACES)], schema=_PLACES) if out else _PLACES.empty_table()
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """A batch's answers as one row for each document that has repeated windows."""
+    keys, found = None, []
+    for own, data in zip(table.column("keys").to_pylist(), table.column("data").to_pylist()):
+        if own is not None:
+            keys = np.stack(unpacked(own), 1)
+        else:
+            found.append(np.stack([x.astype(np.int64) for x in unpacked(data)], 1))
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("places", pa.binary())])
     if not found:
-        return _PLACES.empty_table()
+        return schema.empty_table()
     found = np.concatenate(found)
-    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
-    found = found[np.concatenate(([True], (found[1:] != found[:-1]).any(1)))]  # rows that are copies, identifier included, need one answer
-    new = np.flatnonzero(np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(1))))
-    ends = np.append(new[1:], len(found))
-    places = found[:, 2].astype(np.uint32)
-    return pa.Table.from_arrays([pa.array(found[new, 0]), pa.array(found[new, 1]), pa.array([places[a:b].tobytes() for a, b in zip(new, ends)], pa.binary())], schema=_PLACES)
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    new = np.flatnonzero(np.concatenate(([True], found[1:, 0] != found[:-1, 0])))
+    own, places = keys[found[new, 0]].view(np.int64), found[:, 1].astype(np.uint32)
+    return pa.Table.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array([places[a:b].tobytes() for a, b in zip(new, np.append(new[1:], len(found)))], pa.binary())], schema=schema)
 
 
-def _intervals(places: list[bytes], window: int) -> list[tuple[int, int]]:
+def _intervals(places: bytes, window: int) -> list[tuple[int, int]]:
     """Maximal intervals [begin, end) of words that the windows at these places cover."""
-    first = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in places])).astype(np.int64)
+    first = np.unique(np.frombuffer(places, np.uint32)).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], first[1:] > first[:-1] + window)))
     return list(zip(first[new].tolist(), (first[np.append(new[1:], len(first)) - 1] + window).tolist()))
 
@@ -109,16 +120,21 @@ def _take_out(window: int, schema: pa.Schema):
     return take_out
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 35) -> DataFrame:
-    """For every row of docs: row (a struct of its columns), n_words, n_removed, removed (intervals of word numbers) and kept_text.
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 35, carry: list[str] | None = None) -> DataFrame:
+    """For every row of docs: row (a struct of its columns, or of carry), n_words, n_removed, removed (intervals of word numbers) and kept_text.
 
     A word goes if a window of `window` words that covers it starts anywhere else too. kept_text joins the other words by one space.
     """
     ship(docs.sparkSession)
     parts = parts_for(docs, PART_BYTES)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{key}`")).alias("k1"), F.xxhash64(F.col(f"`{text}`")).alias("k2"))
-    sent = rows.select("k1", "k2", "text").mapInArrow(_send(window, parts), "part int, hashes binary, firsts binary, counts binary, keys binary")
-    places = sent.groupBy("part").applyInArrow(_repeated, "k1 long, k2 long, places binary").groupBy("k1", "k2").agg(F.collect_list("places").alias("places"))
+    carry = carry or docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{key}`")).alias("k1"), F.xxhash64(F.col(f"`{text}`")).alias("k2"))
+    sent = rows.select("k1", "k2", "text").mapInArrow(_send(window, parts), "part int, batch string, keys binary, data binary")
+    answers = sent.groupBy("part").applyInArrow(_repeated, "batch string, keys binary, data binary")
+    # rows that are copies, identifier included, have the same places
+    places = answers.groupBy("batch").applyInArrow(_by_document, "k1 long, k2 long, places binary").dropDuplicates(["k1", "k2"])
     out = T.StructType([rows.schema["row"], *T._parse_datatype_string("n_words long, n_removed long, removed array<struct<begin:int,end:int>>, kept_text string")])
     arrow = pa.schema([("row", pa.null()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("kept_text", pa.string())])
-    return rows.join(places, ["k1", "k2"], "left").select("row", "text", "places").mapInArrow(_take_out(window, arrow), out)
+    full = rows.drop("text") if text in carry else rows  # no second copy of the text in the shuffle
+    found = full.join(places, ["k1", "k2"], "left").select("row", F.col(f"row.`{text}`").cast("string").alias("text") if text in carry else "text", "places")
+    return found.mapInArrow(_take_out(window, arrow), out)
