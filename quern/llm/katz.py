@@ -22,16 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import words as W
+from quern.llm.packing import packed, trim, unpacked
 from quern.session import cut, parts_for, ship
 
-PART_BYTES = 16 << 20
+PART_BYTES = 10 << 20
 K, KEPT = 5, 0.1
+#: A part goes through its words in so many ranges, so that its arrays are as many times smaller.
+SLICES = 8
 U = np.uint64
 START, END = U(0x5354415254), U(0x454E44)
 _STEP = U(0x9E3779B97F4A7C15)
@@ -42,36 +44,10 @@ _TABLE = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("batch", pa.str
 _FLOATS = 2 + 2 * K + 3  # of a document's sums: two logarithms, discounted pairs by count, backed-off words by count, backed off, unknown, known
 
 
-def packed(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays in few bytes: unsigned integers as narrow as they may be, all compressed."""
-    out = []
-    for x in arrays:
-        if isinstance(x, np.ndarray) and x.dtype.kind in "iu" and x.dtype != U:
-            top = int(x.max()) if x.size else 0
-            x = x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
-        kind = x.dtype.str.encode() if isinstance(x, np.ndarray) else b"raw"
-        data = x.tobytes() if isinstance(x, np.ndarray) else x
-        out += [len(kind).to_bytes(1, "little"), kind, len(data).to_bytes(8, "little"), data]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def unpacked(data: bytes) -> list[np.ndarray | bytes]:
-    data, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    while at < len(data):
-        n = data[at]
-        kind = data[at + 1 : at + 1 + n].decode()
-        at += 1 + n
-        size = int.from_bytes(data[at : at + 8], "little")
-        at += 8
-        out.append(data[at : at + size] if kind == "raw" else np.frombuffer(data, np.dtype(kind), size // np.dtype(kind).itemsize, at))
-        at += size
-    return out
-
-
 def _send(parts: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in W.pieces(batch, "text", 8 << 20):
+            for piece in W.pieces(batch, "text", 4 << 20):
                 train = piece.column("train").to_numpy(zero_copy_only=False).astype(bool)
                 order = np.argsort(~train, kind="stable")  # training documents come first
                 piece = piece.take(pa.array(order))
@@ -109,6 +85,7 @@ def _send(parts: int):
                     own = word_at[np.searchsorted(word_at, a) : np.searchsorted(word_at, b)]
                     sent.append((p, name, packed(count, token[own], np.diff(np.append(np.searchsorted(pairs, own), len(pairs))), before[pairs], np.diff(np.append(pairs, b)), doc[a:b], times[a:b])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sent), _SENT)], schema=_SENT)
+                trim()
 
     return send
 
@@ -127,71 +104,104 @@ def _kept(c: np.ndarray) -> np.ndarray:
     return _log(np.where(c > K, c - KEPT, c))
 
 
-def _counted(parts: int):
-    def counted(table: pa.Table) -> pa.Table:
-        sent, out = [], []
-        for name, data in zip(table.column("batch").to_pylist(), table.column("data")):
-            x = unpacked(data.as_buffer().to_pybytes())
-            if x[0][0]:
-                sent.append((name, x))
-            else:
-                out.append((ROWS, None, name, None, x[1]))
-        words = np.concatenate([x[1] for _, x in sent]) if sent else np.empty(0, U)
-        if not len(words):
-            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _TABLE)], schema=_TABLE)
-        spans = [np.repeat(np.arange(len(x[1])), x[2]) for _, x in sent]  # each pair's word
-        posts = [np.repeat(np.arange(len(x[3])), x[4]) for _, x in sent]  # each posting's pair
-        trained = [_sum(p, np.where(x[5] < x[0][1], x[6], 0), len(x[3])).astype(np.int64) for p, (_, x) in zip(posts, sent)]
-        word, which = np.unique(words, return_inverse=True)
-        at = np.cumsum([0, *(len(x[1]) for _, x in sent)])
-        in_word = np.concatenate([which[a + s] for a, s in zip(at, spans)])  # each pair's word among all
-        context = np.concatenate([x[3] for _, x in sent])
-        every = np.concatenate(trained)
-        c1 = _sum(in_word, every, len(word)).astype(np.int64)
+def _slice(x: list[np.ndarray], which: int) -> list[np.ndarray]:
+    """What a batch sent, for one of SLICES ranges of words only."""
+    words = x[1] % U(SLICES) == which
+    pairs = np.repeat(words, x[2])
+    posts = np.repeat(pairs, x[4])
+    return [x[0], x[1][words], x[2][words], x[3][pairs], x[4][pairs], x[5][posts].astype(np.int64), x[6][posts].astype(np.int64)]
+
+
+class _Part:
+    """What a part gathers while it goes through its words range by range."""
+
+    def __init__(self, parts: int) -> None:
+        self.parts = parts
+        self.rows: list[tuple] = []
+        self.sums: dict[int, np.ndarray] = {}
+        self.totals = np.zeros(4 + 2 * K, np.int64)
+        self.waiting: list[np.ndarray] = []
+
+    def add(self, sent: list[list[np.ndarray]]) -> None:
+        """Counts one range of words in all batches."""
+        word, which = np.unique(np.concatenate([x[1] for x in sent]), return_inverse=True)
+        if not len(word):
+            return
+        at = np.cumsum([0, *(len(x[1]) for x in sent)])
+        in_word = np.concatenate([which[a + np.repeat(np.arange(len(x[1])), x[2])] for a, x in zip(at, sent)])  # each pair's word
+        context = np.concatenate([x[3] for x in sent])
+        posts = [np.repeat(np.arange(len(x[3])), x[4]) for x in sent]  # each posting's pair
+        trained = np.concatenate([_sum(p, np.where(x[5] < x[0][1], x[6], 0), len(x[3])) for p, x in zip(posts, sent)])
+        c1 = _sum(in_word, trained, len(word)).astype(np.int64)
         _, one, pair = np.unique(W.mix(in_word.astype(U) * _STEP + context), return_index=True, return_inverse=True)
-        c2 = _sum(pair, every, len(one)).astype(np.int64)
+        c2 = _sum(pair, trained, len(one)).astype(np.int64)
         counts = lambda c: np.bincount(c[(c > 0) & (c <= K + 1)], minlength=K + 2)[1:]
-        out.append((TOTALS, None, None, [int(c1.sum()), int((c1 > 0).sum()), *counts(c1).tolist(), *counts(c2).tolist()], None))
+        self.totals += np.concatenate([[c1.sum(), (c1 > 0).sum()], counts(c1), counts(c2)]).astype(np.int64)
         begin = 0
-        waiting: dict[str, list[np.ndarray]] = {"h": [], "batch": [], "doc": [], "times": []}
-        for b, (_, x) in enumerate(sent):
-            p, n, doc, times = posts[b] + begin, int(x[0][2]), x[5].astype(np.int64), x[6].astype(np.float64)
+        for b, (x, p) in enumerate(zip(sent, posts)):
+            self._documents(b, x, c1[in_word[begin + p]], c2[pair[begin + p]], word[in_word[begin + p]] != END, context[begin + p])
             begin += len(x[3])
-            r1, r2 = c1[in_word[p]], c2[pair[p]]
-            seen = r2 > 0
-            logs = np.where(seen, _kept(r2), _kept(r1)) - np.where(word[in_word[p]] != END, _log(r1), 0)
-            sums = np.zeros((n, _FLOATS))
-            sums[:, 0] = _sum(doc, times * np.log10(r1 + 0.5), n)
-            sums[:, 1] = _sum(doc, times * logs, n)
-            for r in range(1, K + 1):
-                sums[:, 1 + r] = _sum(doc, times * (r2 == r), n)
-                sums[:, 1 + K + r] = _sum(doc, times * (~seen & (r1 == r)), n)
-            sums[:, -3] = _sum(doc, times * (~seen & (r1 > 0)), n)
-            sums[:, -2] = _sum(doc, times * (r1 == 0), n)
-            sums[:, -1] = _sum(doc, times * (r1 > 0), n)
-            out.append((SUMS, None, sent[b][0], None, packed(sums[:, :2].reshape(-1), sums[:, 2:].T.reshape(-1).astype(np.int64))))
-            back = np.flatnonzero(~seen)
-            for key, value in (("h", context[p[back]]), ("batch", np.full(len(back), b)), ("doc", doc[back]), ("times", x[6][back].astype(np.int64))):
-                waiting[key].append(value)
-        h, who, doc, times = (np.concatenate(waiting[k]) for k in ("h", "batch", "doc", "times"))
-        to = (h >> U(44)).astype(np.int64) % parts
-        order = np.lexsort((doc, who, to))
-        h, who, doc, times, to = h[order], who[order], doc[order], times[order], to[order]
-        new = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (who[1:] != who[:-1])))) if len(h) else np.empty(0, int)
-        for a, b in zip(new, np.append(new[1:], len(h))):
-            out.append((BACKOFFS, int(to[a]), sent[who[a]][0], None, packed(h[a:b], doc[a:b], times[a:b])))
         real = np.flatnonzero(c2 > 0)
-        h, r1, r2 = context[one[real]], c1[in_word[one[real]]], c2[real]
+        self._contexts(context[one[real]], c1[in_word[one[real]]], c2[real])
+
+    def _documents(self, b: int, x: list[np.ndarray], r1: np.ndarray, r2: np.ndarray, goes_on: np.ndarray, h: np.ndarray) -> None:
+        """One batch's postings, with the counts of their words and pairs, to its documents' sums; those that back off wait for their context."""
+        doc, times, n, seen = x[5], x[6].astype(np.float64), int(x[0][2]), r2 > 0
+        sums = self.sums.setdefault(b, np.zeros((n, _FLOATS)))
+        sums[:, 0] += _sum(doc, times * np.log10(r1 + 0.5), n)
+        sums[:, 1] += _sum(doc, times * (np.where(seen, _kept(r2), _kept(r1)) - np.where(goes_on, _log(r1), 0)), n)
+        for r in range(1, K + 1):
+            sums[:, 1 + r] += _sum(doc, times * (r2 == r), n)
+            sums[:, 1 + K + r] += _sum(doc, times * (~seen & (r1 == r)), n)
+        sums[:, -3] += _sum(doc, times * (~seen & (r1 > 0)), n)
+        sums[:, -2] += _sum(doc, times * (r1 == 0), n)
+        sums[:, -1] += _sum(doc, times * (r1 > 0), n)
+        back = np.flatnonzero(~seen)
+        self.waiting.append(np.stack([h[back], np.full(len(back), b, U), doc[back].astype(U), x[6][back].astype(U)]))
+
+    def _contexts(self, h: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> None:
+        """Seen pairs to numbers for each context, sent to the context's part."""
         contexts, which = np.unique(h, return_inverse=True)
         n = len(contexts)
         numbers = [_sum(which, r2 == r, n) for r in range(1, K + 1)] + [_sum(which, r2 > K, n), _sum(which, np.where(r2 > K, r2, 0), n)]
         numbers += [_sum(which, r1 == r, n) for r in range(1, K + 1)] + [_sum(which, r1 > K, n), _sum(which, np.where(r1 > K, r1, 0), n)]
-        to = (contexts >> U(44)).astype(np.int64) % parts
+        to = (contexts >> U(44)).astype(np.int64) % self.parts
         order = np.argsort(to, kind="stable")
-        bounds = np.searchsorted(to[order], np.arange(parts + 1))
+        bounds = np.searchsorted(to[order], np.arange(self.parts + 1))
         for q in np.flatnonzero(np.diff(bounds)):
             own = order[bounds[q] : bounds[q + 1]]
-            out.append((CONTEXTS, int(q), None, None, packed(contexts[own], *(x[own].astype(np.int64) for x in numbers))))
+            self.rows.append((CONTEXTS, int(q), None, None, packed(contexts[own], *(x[own].astype(np.int64) for x in numbers))))
+
+    def finish(self, names: list[str]) -> list[tuple]:
+        out = self.rows
+        out.append((TOTALS, None, None, self.totals.tolist(), None))
+        out += [(SUMS, None, names[b], None, packed(s[:, :2].T.reshape(-1), s[:, 2:].T.reshape(-1).astype(np.int64))) for b, s in self.sums.items()]
+        if self.waiting:
+            h, who, doc, times = np.concatenate(self.waiting, 1)
+            to = (h >> U(44)).astype(np.int64) % self.parts
+            order = np.lexsort((doc, who, to))
+            h, who, doc, times, to = h[order], who[order].astype(np.int64), doc[order].astype(np.int64), times[order].astype(np.int64), to[order]
+            new = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (who[1:] != who[:-1])))) if len(h) else np.empty(0, int)
+            for a, b in zip(new, np.append(new[1:], len(h))):
+                out.append((BACKOFFS, int(to[a]), names[who[a]], None, packed(h[a:b], doc[a:b], times[a:b])))
+        return out
+
+
+def _counted(parts: int):
+    def counted(table: pa.Table) -> pa.Table:
+        sent, out = [], []
+        for name, data in zip(table.column("batch").to_pylist(), table.column("data")):
+            x = unpacked(data.as_buffer().to_pybytes())
+            if x[0][0]:
+                sent.append((name, data))
+            else:
+                out.append((ROWS, None, name, None, x[1]))
+        if sent:
+            part = _Part(parts)
+            for which in range(SLICES):
+                part.add([_slice(unpacked(data.as_buffer().to_pybytes()), which) for _, data in sent])
+                trim()
+            out += part.finish([name for name, _ in sent])
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _TABLE)], schema=_TABLE)
 
     return counted
@@ -256,7 +266,7 @@ def _gathered(c: Constants, started: int):
                 tables.append(pa.ipc.open_stream(x[0]).read_all())
             elif kind == SUMS:
                 n = len(x[0]) // 2
-                x = np.concatenate([x[0].reshape(n, 2), x[1].reshape(-1, n).T], 1)
+                x = np.concatenate([x[0].reshape(2, n).T, x[1].reshape(-1, n).T], 1)
                 sums = x if sums is None else sums + x
             else:
                 if len(x[0]) > len(more):
