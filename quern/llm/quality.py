@@ -2,8 +2,8 @@
 
 Every passage of PASSAGE words is encoded from counts of byte classes and of repetition. The network learns, from labels of whole
 documents, a hidden vector for each passage, gated attention weights, and the score of the weighted passage vector. It is trained on the
-driver from the features of at most MOST_TRAINED labelled documents (the ones with the smallest hashes of doc_id), at most MOST_PASSAGES
-passages of each, evenly spread; scoring takes all passages of all documents.
+driver from the features of at most MOST_TRAINED labelled documents (the ones with the smallest hashes of doc_id), all passages of each;
+scoring takes all passages of all documents.
 
 Defined cases: null and empty texts are one passage without words and get a score too; documents without labels are scored alike; of
 several labels of a document the mean counts, null labels don't; without any label all scores are 0.5; repeated rows are scored each; an
@@ -24,8 +24,8 @@ from quern.llm import words as W
 from quern.session import ship
 
 PASSAGE = 64
-MOST_TRAINED, MOST_PASSAGES = 4000, 12
-HIDDEN, GATES, ROUNDS, SEED = 16, 8, 150, 5
+MOST_TRAINED = 4000
+HIDDEN, GATES, ROUNDS, SEED = 16, 8, 300, 5
 THRESHOLD = 0.3
 #: Byte classes: lower case, upper case, digits, non-ASCII, marks of sentences, ! and ?, |, brackets and quotes, other symbols, the rest.
 _CLASS = np.full(256, 9, np.uint8)
@@ -120,8 +120,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in W.pieces(batch, "text", 2 << 20):
             x, first = features(piece.column("text"))
-            kept = [np.unique(np.linspace(a, b - 1, min(b - a, MOST_PASSAGES)).astype(int)) for a, b in zip(first, first[1:])]
-            yield pa.RecordBatch.from_arrays([piece.column("label"), pa.array([x[k].astype(np.float32).tobytes() for k in kept], pa.binary())], ["label", "x"])
+            x = x.astype(np.float32)
+            yield pa.RecordBatch.from_arrays([piece.column("label"), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], ["label", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> dict[str, np.ndarray] | None:

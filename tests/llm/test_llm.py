@@ -183,6 +183,19 @@ def test_quality_learns_from_documents(spark, empty):
     assert quality.classify(empty, model).count() == 0
 
 
+def test_quality_learns_from_every_passage(spark):
+    r = random.Random(6)
+    plain = lambda n: " ".join(r.choice(VOCABULARY) + r.choice("abcdefgh") for _ in range(n))
+    junk = " ".join(f"{w}!!".upper() for w in VOCABULARY)
+    junk = " ".join((junk.split() * quality.PASSAGE)[: quality.PASSAGE])
+    parts = lambda bad: [junk if bad and i in (1, 2, 38) else plain(quality.PASSAGE) for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(parts(i % 2)), 1 - i % 2) for i in range(120)], "doc_id long, text string, quality int")
+    batch = pa.RecordBatch.from_pydict({"label": [1.0, 0.0], "text": [plain(quality.PASSAGE * 40), ""]})
+    assert [len(x) // 4 // quality.N_FEATURES for b in quality._featured(iter([batch])) for x in b.column("x").to_pylist()] == [40, 1]
+    held = quality.classify(docs, quality.train(docs, docs.select("doc_id", "quality"))).where(quality.held_out(F.col("row.doc_id"))).collect()
+    assert len(held) > 10 and all((h.score >= 0.5) == bool(h["row"]["quality"]) for h in held)
+
+
 def test_attention_gradients():
     r = np.random.default_rng(0)
     x, first, y = r.normal(size=(12, quality.N_FEATURES)), np.array([0, 3, 4, 12]), np.array([1.0, 0.0, 1.0])
