@@ -6,6 +6,9 @@ that BPE scores stand for, and byte fallback. Batches are encoded and decoded by
 Where no piece has the marker after another character, no merge goes over a marker's left side, so texts are split there first and the
 library's cache of words applies; the ids are the same.
 
+A unigram model of the tokenizers library matches any piece in text. Unknown, control and unused pieces are renamed so that no text holds
+them; byte pieces need their names, so texts whose normal form has one written out ("<0x41>") are encoded by the sentencepiece library.
+
 Defined cases: a null or empty text has no ids and decodes to an empty text; control pieces are never produced; repeated rows are encoded
 each; an empty table gives an empty result; input columns come back inside `row`.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,6 +32,7 @@ from quern.llm import words as W
 from quern.session import ship
 
 MARK = "▁"
+_WRITTEN_BYTE = re.compile("<0x[0-9A-F]{2}>")
 #: Kinds of pieces, and of models, in the public protobuf definition.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -115,7 +120,10 @@ def build(data: bytes):
     if m.kind == BPE:
         model = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges(m), unk_token=m.pieces[unknown][0] if unknown is not None else None, fuse_unk=True, byte_fallback=m.byte_fallback)
     elif m.kind == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in m.pieces], unknown, m.byte_fallback)
+        # normal texts have no spaces where they are escaped; the least score of a normal piece is what an unknown character's stands on
+        least = min((s for _, s, kind in m.pieces if kind == NORMAL), default=0.0)
+        hidden = " " if m.escape else "\uffff"
+        model = models.Unigram([(hidden * (kind in (UNKNOWN, CONTROL, UNUSED)) + p, s if kind == NORMAL else least) for p, s, kind in m.pieces], unknown, m.byte_fallback)
     else:
         raise ValueError(f"model kind {m.kind} is neither unigram nor BPE")
     t = Tokenizer(model)
@@ -129,7 +137,8 @@ def build(data: bytes):
     t.normalizer = normalizers.Sequence(steps)
     if m.escape and not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER_DEFINED)):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+"), "merged_with_next")
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * m.dummy_prefix])
+    shown = [decoders.Replace(Regex(f"^{hidden}"), "")] if m.kind == UNIGRAM else []
+    t.decoder = decoders.Sequence([*shown, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * m.dummy_prefix])
     own = [AddedToken(p, normalized=False) for p, _, kind in m.pieces if kind == USER_DEFINED]
     if own:
         t.add_tokens(own)
@@ -144,28 +153,53 @@ def loaded(path: str, threads: int):
         return build(f.read())
 
 
-def differences(path: str, texts: list[str]) -> list[int]:
-    """Indices of texts that the rebuilt tokenizer encodes unlike the sentencepiece library."""
+@functools.cache
+def _library(path: str):
     import sentencepiece
 
-    want = sentencepiece.SentencePieceProcessor(model_file=path).encode(texts, num_threads=1)
-    got = loaded(path, 2).encode_batch_fast(texts, add_special_tokens=False)
-    return [i for i, (a, b) in enumerate(zip(want, got)) if a != b.ids]
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+@functools.cache
+def _byte_pieces(path: str) -> frozenset[int]:
+    """Ids of byte pieces, if text can be taken for them."""
+    with open(path, "rb") as f:
+        m = parse(f.read())
+    return frozenset(i for i, x in enumerate(m.pieces) if x[2] == BYTE) if m.kind == UNIGRAM else frozenset()
+
+
+def encoded(path: str, texts: list[str], threads: int) -> list[list[int]]:
+    """Ids of each text."""
+    t, taken = loaded(path, threads), _byte_pieces(path)
+    ids = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    if taken:
+        for i, x in enumerate(ids):
+            if not taken.isdisjoint(x) and _WRITTEN_BYTE.search(t.normalizer.normalize_str(texts[i])):
+                ids[i] = _library(path).encode(texts[i])
+    return ids
+
+
+def differences(path: str, texts: list[str]) -> list[int]:
+    """Indices of texts that the rebuilt tokenizer encodes unlike the sentencepiece library."""
+    want = _library(path).encode(texts, num_threads=1)
+    return [i for i, (a, b) in enumerate(zip(want, encoded(path, texts, 2))) if a != b]
 
 
-def _encode(path: str, threads: int, check: bool):
+def _encode(path: str, threads: int, check: bool, parity: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = loaded(path, threads)
         for batch in batches:
             for piece in W.pieces(batch, "text", 2 << 20):
                 texts = [x or "" for x in piece.column("text").to_pylist()]
-                ids = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+                ids = encoded(path, texts, threads)
                 at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.fromiter((i for x in ids for i in x), np.int32, at[-1])
                 columns = [piece.column("row"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
                 if check:
                     columns.append(pa.array([a == b for a, b in zip(t.decode_batch(ids, skip_special_tokens=False), texts)]))
-                yield pa.RecordBatch.from_arrays(columns, ["row", "ids", "same"][: len(columns)])
+                if parity:
+                    columns.append(pa.array([a == b for a, b in zip(ids, _library(path).encode(texts, num_threads=threads))], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, ["row", "ids", *["same"] * check, *["parity"] * parity])
 
     return encode
 
@@ -186,15 +220,16 @@ def _row(df: DataFrame, carry: list[str] | None):
     return F.struct(*[F.col(f"`{c}`") for c in carry or df.columns]).alias("row")
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | None = None, threads: int = 2, check: bool = False) -> DataFrame:
-    """For every row of docs: row (a struct of its columns, or of carry) and ids; with check also same: the ids decode to the text.
+def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | None = None, threads: int = 2, check: bool = False, parity: bool = False) -> DataFrame:
+    """For every row of docs: row (a struct of its columns, or of carry) and ids; with check also same: the ids decode to the text; with
+    parity also parity: the sentencepiece library gives the same ids.
 
     model: a SentencePiece file that driver and executors reach by this path. threads: of a task.
     """
     ship(docs.sparkSession)
     rows = docs.select(_row(docs, carry), F.col(f"`{text}`").cast("string").alias("text"))
-    out = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("same", T.BooleanType())] * check])
-    return rows.mapInArrow(_encode(model, threads, check), out)
+    out = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("same", T.BooleanType())] * check, *[T.StructField("parity", T.BooleanType())] * parity])
+    return rows.mapInArrow(_encode(model, threads, check, parity), out)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", carry: list[str] | None = None, threads: int = 2) -> DataFrame:

@@ -127,6 +127,23 @@ def test_unigram_models_are_read(tmp_path):
     assert t.decode(t.encode("ab d", add_special_tokens=False).ids) == "ab d"
 
 
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_unigram_ids_are_the_librarys(spark, tmp_path, rows, byte_fallback):
+    import sentencepiece as library
+
+    r = random.Random(2)
+    path = str(tmp_path / "u.model")
+    texts = [" ".join((x[1] or "").split()[:200]) for x in rows]
+    with open(path, "wb") as f:
+        library.SentencePieceTrainer.train(sentence_iterator=iter([x for x in texts if x]), model_writer=f, model_type="unigram", vocab_size=400, hard_vocab_limit=False, byte_fallback=byte_fallback, num_threads=1, minloglevel=2)
+    odd = ["", " ", "<s>", "a <s> </s> b", "<unk>", "x<unk>y", "<0x41>", "one<0x0A>two é", "＜ｓ＞ ＜0x41＞", "漢字 😀", "a  b", "▁▁a"]
+    odd += ["".join(r.choice(["a", "b", "e", " ", "<", "<s>", "<0x41>", "漢", "one", ">"]) for _ in range(r.randint(1, 20))) for _ in range(300)]
+    assert sentencepiece.differences(path, odd + texts) == []
+    assert sentencepiece.build(open(path, "rb").read()).encode("a<s></s><unk>", add_special_tokens=False).ids == library.SentencePieceProcessor(model_file=path).encode("a<s></s><unk>")
+    table = spark.createDataFrame([(x,) for x in odd], "text string")
+    assert {x.parity for x in sentencepiece.encode(table, path, parity=True).collect()} == {True}
+
+
 def test_encode_and_decode(spark, docs, rows, empty):
     path = tokenizer_path("piece_bpe_32k.model")
     out = sentencepiece.encode(docs, path, check=True)
