@@ -1,12 +1,13 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark, merged into maximal removal intervals.
 
-Each task sends its windows' hashes to the part that the hash names, packed as numpy arrays; the part finds hashes that occur more than
+Each task sends its windows' hashes to the part that a second, independent hash names, packed as numpy arrays; the part finds hashes that occur more than
 once and answers each batch with the windows' places; the answers meet their documents again by a 128-bit key of identifier and text.
 
 Defined cases: a null text has no words; texts shorter than the window keep everything; rows repeated as they are count as other
 places, so their shared windows go from each of them; a null identifier is an identifier like any other; an empty table gives an empty
-result; input columns come back inside `row`, so their names cannot clash. Windows are compared by 64-bit hashes of random-valued words:
-among n different windows, n**2 / 2**65 pairs are expected to look equal.
+result; input columns come back inside `row`, so their names cannot clash. Windows are compared by 64-bit hashes of random-valued words
+and, without bytes of its own, by the part that the second hash names: among n different windows, n**2 / 2**65 / parts pairs are expected
+to look equal, and parts grow with the input.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from quern.session import parts_for, ship
 
 #: Stored input bytes for which there is one part; a part's task needs about 15 times as much memory.
 PART_BYTES = 12 << 20
+#: Fixed value: makes other random values of words' hashes.
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 _SENT = pa.schema([("part", pa.int32()), ("batch", pa.string()), ("keys", pa.binary()), ("data", pa.binary())])
 _PLACES = pa.schema([("batch", pa.string()), ("keys", pa.binary()), ("data", pa.binary())])
 
@@ -41,7 +44,8 @@ def _send(window: int, parts: int):
                 keys = packed(*(piece.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("k1", "k2")))
                 text = np.searchsorted(at, first, "right") - 1
                 place = first - at[text]
-                part = (h >> np.uint64(40)).astype(np.int64) % parts
+                second, _ = W.rolling(W.mix(words ^ _SECOND), at, window)
+                part = (second % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 h, text, place = h[order], text[order], place[order]
                 bounds = np.searchsorted(part[order], np.arange(parts + 1))

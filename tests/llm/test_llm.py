@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -467,6 +468,21 @@ def test_minimum_cut():
 # 10 substrings
 
 
+def test_windows_whose_hashes_collide_are_told_apart(monkeypatch):
+    def repeated(values):
+        monkeypatch.setattr(W, "hashes", lambda column: (np.array([v % (1 << 64) for v in values], np.uint64), np.array([0, 2, 4])))
+        batch = pa.RecordBatch.from_pydict({"k1": pa.array([1, 2], pa.int64()), "k2": pa.array([3, 4], pa.int64()), "text": ["p q", "r s"]})
+        sent = pa.Table.from_batches(list(substring_dedup._send(2, 4096)(iter([batch]))))
+        found = [substring_dedup._repeated(sent.filter(pa.compute.equal(sent.column("part"), p))) for p in sent.column("part").unique().to_pylist()]
+        return sum(len(substring_dedup.unpacked(d)[0]) for t in found for d in t.column("data").to_pylist() if d)
+
+    a, b, x = 0x1234567890ABCDEF, 0xFEDCBA0987654321, 0x1111222233334445
+    values = [a, b, a + x, b - x * W.BASE]
+    h, _ = W.rolling(np.array([v % (1 << 64) for v in values], np.uint64), np.array([0, 2, 4]), 2)
+    assert h[0] == h[1]
+    assert repeated(values) == 0 and repeated([a, b, a, b]) == 2
+
+
 @pytest.mark.parametrize("window", [35, 4])
 def test_repeated_windows(docs, rows, empty, window):
     all_words = [words_of(r[1]) for r in rows]
