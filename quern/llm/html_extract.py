@@ -6,8 +6,8 @@ each other in the tree (fewer steps, larger capacity) make labels smooth. The mi
 no edge can change are settled, separates content from boilerplate.
 
 Defined cases: null, empty and tagless pages are allowed (a null page has no text); cut-off pages end where they end, an unfinished tag
-is dropped, an unfinished character reference stays as it is; blocks keep their order; repeated rows are treated each; an empty table
-gives an empty result; input columns come back inside `row`.
+is dropped, an unfinished character reference stays as it is; pages of any length and depth take memory in proportion to their size;
+blocks keep their order; repeated rows are treated each; an empty table gives an empty result; input columns come back inside `row`.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import random
 import re
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -61,27 +62,61 @@ def _marks(tag: str, attributes: str) -> int:
     return found
 
 
-def blocks(page: str) -> list[tuple[str, str, int, int, tuple[int, ...]]]:
-    """Text blocks in page order: text, the tag around it, marks, letters inside links, and the path of block elements (numbers) to it."""
-    out: list[tuple[str, str, int, int, tuple[int, ...]]] = []
-    stack: list[tuple[str, int, tuple[int, ...]]] = [("", 0, ())]
+class Block(NamedTuple):
+    """A text block: its text, the tag around it, marks, letters inside links, the number of the element around its block element, and the
+    steps in the tree from the block before."""
+
+    text: str
+    tag: str
+    marks: int
+    linked: int
+    parent: int
+    steps: int
+
+
+class Open(NamedTuple):
+    """An open element: its tag, marks, the number and depth of its block element (itself, if it is one), that element's parent, and the
+    places on the stack of the nearest block element and of the nearest one that a begin tag may end."""
+
+    tag: str
+    marks: int
+    number: int
+    depth: int
+    parent: int
+    block: int
+    ends: int
+
+
+def blocks(page: str) -> list[Block]:
+    """Text blocks in page order. An element costs the same however deep it lies."""
+    out: list[Block] = []
+    stack = [Open("", 0, 0, 0, 0, 0, 0)]
+    places: dict[str, list[int]] = {}  # of open elements on the stack, by tag
     text: list[str] = []
-    linked = at = number = 0
+    linked = at = number = low = before = 0  # low: the least depth since the block before, whose depth is before
+
+    def close(place: int) -> None:
+        nonlocal low
+        for e in reversed(stack[place:]):
+            places[e.tag].pop()
+        del stack[place:]
+        low = min(low, stack[-1].depth)
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, low, before
         if text:
             if joined := " ".join("".join(text).split()):
-                tag = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
-                out.append((joined, tag, stack[-1][1], linked, stack[-1][2]))
+                top = stack[-1]
+                out.append(Block(joined, stack[top.block].tag, top.marks, linked, top.parent, before + top.depth - 2 * low))
+                low = before = top.depth
             text.clear()
         linked = 0
 
     def add(a: int, b: int) -> None:
         nonlocal linked
-        if a < b and not stack[-1][1] & IN_SILENT:
+        if a < b and not stack[-1].marks & IN_SILENT:
             text.append(html.unescape(page[a:b]))
-            if stack[-1][1] & IN_LINK:
+            if stack[-1].marks & IN_LINK:
                 linked += len(text[-1].strip())
 
     size, search = len(page), TOKEN.search
@@ -98,39 +133,35 @@ def blocks(page: str) -> list[tuple[str, str, int, int, tuple[int, ...]]]:
         if block:
             end()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if not block and stack[i][0] in BLOCK:
-                    break
+            if (found := places.get(tag)) and (block or found[-1] > stack[-1].block):
+                close(found[-1])
             continue
-        if tag in VOID:
+        if tag in VOID or tag == "head" and places.get("head"):
             continue
-        for i in range(len(stack) - 1, 0, -1):
-            name = stack[i][0]
-            if tag in ENDS.get(name, ()):
-                del stack[i:]
-                break
-            if name in BLOCK:
-                break
+        place = stack[-1].ends
+        if stack[place].tag == "head" and tag not in ENDS["head"]:
+            place = stack[place].block
+        if tag in ENDS.get(stack[place].tag, ()):
+            close(place)
         attributes = m[3] if m[2] else m[6]
         if attributes.endswith("/") and not block:
             continue
-        parent = stack[-1]
+        top, place = stack[-1], len(stack)
         number += block
-        stack.append((tag, parent[1] | _marks(tag, attributes), (*parent[2], number) if block else parent[2]))
+        own = (number, top.depth + 1, top.number) if block else (top.number, top.depth, top.parent)
+        stack.append(Open(tag, top.marks | _marks(tag, attributes), *own, place if block else top.block, place if block or tag in ENDS else top.ends))
+        places.setdefault(tag, []).append(place)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b", re.I).search(page, at)
-            at = close.start() if close else size
+            end_of = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            at = end_of.start() if end_of else size
     add(at, size)
     end()
     return out
 
 
-def features(found: list[tuple[str, str, int, int, tuple[int, ...]]]) -> np.ndarray:
+def features(found: list[Block]) -> np.ndarray:
     rows = []
-    for text, tag, marks, linked, _ in found:
+    for text, tag, marks, linked, _, _ in found:
         words = text.count(" ") + 1
         rows.append((
             1.0, math.log1p(words), linked / len(text), bool(marks & IN_AROUND), bool(marks & IN_NAMED), bool(marks & IN_MAIN), tag == "p", tag in ("li", "dt", "dd", "td", "th"),
@@ -169,8 +200,8 @@ def fitted() -> tuple[float, ...]:
     x, y = [], []
     for page in training_pages():
         found = blocks(page)
-        y += [MARKED in b[0] for b in found]
-        x.append(features([(b[0].replace(MARKED, ""), *b[1:]) for b in found]))
+        y += [MARKED in b.text for b in found]
+        x.append(features([b._replace(text=b.text.replace(MARKED, "")) for b in found]))
     x, y = np.concatenate(x), np.array(y, float)
     w = np.zeros(x.shape[1])
     for _ in range(25):
@@ -242,22 +273,15 @@ def content(page: str, weights: tuple[float, ...]) -> list[str]:
     z = np.clip(features(found) @ np.array(weights), -12, 12)
     source, sink = (NAT * np.logaddexp(0, z)).astype(int).tolist(), (NAT * np.logaddexp(0, -z)).astype(int).tolist()
     edges: dict[tuple[int, int], int] = {}
-    last: dict[tuple[int, ...], int] = {}
-    for i, (_, _, marks, _, path) in enumerate(found):
+    last: dict[tuple[int, int], int] = {}
+    for i, b in enumerate(found):
         if i:
-            before = found[i - 1]
-            same = 0
-            for a, b in zip(path, before[4]):
-                if a != b:
-                    break
-                same += 1
-            steps = len(path) + len(before[4]) - 2 * same
-            edges[i - 1, i] = BESIDE // (1 + steps)
-        above = (*path[:-1], -(marks & (IN_AROUND | IN_NAMED)))  # children of one element, if they carry the same marks
+            edges[i - 1, i] = BESIDE // (1 + b.steps)
+        above = (b.parent, b.marks & (IN_AROUND | IN_NAMED))  # children of one element, if they carry the same marks
         if above in last:
             edges[last[above], i] = edges.get((last[above], i), 0) + KIN
         last[above] = i
-    return [b[0] for b, keep in zip(found, min_cut(source, sink, edges)) if keep]
+    return [b.text for b, keep in zip(found, min_cut(source, sink, edges)) if keep]
 
 
 def _extract(weights: tuple[float, ...]):

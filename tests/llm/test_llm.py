@@ -103,6 +103,17 @@ def test_model_is_rebuilt_exactly(rows):
     assert sentencepiece.differences(tokenizer_path("piece_bpe_32k.model"), odd + [x[1] or "" for x in rows]) == []
 
 
+def test_long_texts_are_encoded_in_runs(spark, rows, monkeypatch):
+    path = tokenizer_path("piece_bpe_32k.model")
+    long = [" ".join(x[1] or "" for x in rows)[:300_000], "x" * 150_000, "日本語 " * 40_000, "a  b \n" * 30_000, "one two " * 20_000]
+    assert len(sentencepiece.runs(long[4])) > 2 and " ".join(sentencepiece.runs(long[0])) == long[0]
+    got = sentencepiece.encode(spark.createDataFrame(list(enumerate(long)), "n int, text string"), path, check=True, parity=True).collect()
+    assert all(r.same and r.parity for r in got) and len(got) == len(long)
+    monkeypatch.setattr(sentencepiece, "RUN", 5)
+    short = [x[1] or "" for x in rows][:60] + ["a b c d e f g  h i", "1 2 3 é 4 5 6 7"]
+    assert sentencepiece.differences(path, short) == []
+
+
 def _field(n, kind, body):
     return bytes([n << 3 | kind]) + body
 
@@ -443,6 +454,56 @@ def test_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_deep_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    w = html_extract.fitted()
+    for page, text in (("<div>" * 100_000 + "<p>Deep text, with a sentence of words.", "Deep text, with a sentence of words."), ("<i><div>" + "<b>" * 30_000 + "</i>" * 30_000 + "</div>", ""), ("<div>" * 30_000 + "</section>" * 30_000, "")):
+        tracemalloc.start()
+        assert " ".join(html_extract.content(page, w)) == text
+        assert tracemalloc.get_traced_memory()[1] < 600 * len(page)
+        tracemalloc.stop()
+    many = html_extract.blocks("".join(f"<div>t{i}" for i in range(20_000)))
+    assert [b.text for b in many] == [f"t{i}" for i in range(20_000)] and {b.steps for b in many} == {1}
+
+
+def test_steps_between_blocks_are_those_of_the_tree():
+    r = random.Random(4)
+    for _ in range(50):
+        at, path, paths, page, number = 0, [], [], "", 0
+        for _ in range(40):
+            if path and r.random() < 0.4:
+                path.pop()
+                page += "</div>"
+            else:
+                number += 1
+                path.append(number)
+                page += "<div>"
+            if r.random() < 0.5:
+                paths.append(tuple(path))
+                page += f"w{len(paths)}"
+        found = html_extract.blocks(page)
+        assert len(found) == len(paths)
+        for a, b, block in zip(paths, paths[1:], found[1:]):
+            common = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert block.steps == len(a) + len(b) - 2 * common
+
+
+def test_text_of_the_given_pages_is_that_of_their_articles(spark):
+    """Held against the pages' own markup: what stands in article elements, asides and the like taken out."""
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["row"]["page_id"]: r.text for r in html_extract.extract(pages).collect()}
+    compared = 0
+    for r in pages.collect():
+        if m := re.fullmatch(r".*<article[^>]*>(.*)</article>.*", r.html or "", re.S):
+            want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", m[1])).split())
+            compared += 1
+            assert got[r.page_id].replace(" ", "") == want.replace(" ", "")
+    assert compared > 200
+
+
 def test_content_of_invented_pages():
     w = html_extract.fitted()
     wrong = total = 0
