@@ -232,6 +232,60 @@ def test_attention_gradients():
     assert np.abs(quality.score(model, x, first) - y).max() < 0.2
 
 
+def test_gradients_are_finite_differences():
+    r = np.random.default_rng(1)
+    texts = pa.array([" ".join(r.choice(["a", "Bc", "def", "g h", "É", "xyz"], n)) for n in (3, 150, 0, 70)])
+    x, first = quality.features(texts)
+    bag, y = quality.tokens(texts), np.array([1.0, 0.0, 1.0, 0.3])
+    assert len(bag.at) == len(x) + 1 and bag.at[-1] == len(bag.ids) == sum(len(words_of(t)) for t in texts.to_pylist())
+    p = {k: v.astype(float) for k, v in quality.fit(x, first, y, bag).items()}
+    x = (x - p.pop("mean")) / p.pop("scale")
+    p = {k: v + r.normal(0, 0.3, v.shape) for k, v in p.items()}
+    _, grad = quality.loss_and_gradients(p, x, first, y, bag)
+    for k in p:
+        places = [tuple(r.integers(0, n) for n in p[k].shape) for _ in range(6)]
+        if k == "e":
+            places += [(int(bag.ids[i, j]), 2) for i in (0, 5, 100) for j in range(4)]
+        for at in places:
+            old = p[k][at]
+            sides = []
+            for step in (1e-5, -1e-5):
+                p[k][at] = old + step
+                sides.append(quality.loss_and_gradients(p, x, first, y, bag)[0])
+            p[k][at] = old
+            assert grad[k][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-8)
+
+
+def test_words_decide_where_marks_are_alike(spark):
+    """Both labels have words of the same letters and lengths, so only the words themselves tell."""
+    r = random.Random(9)
+    make = lambda words: " ".join(r.choice(words) for _ in range(r.randint(30, 200)))
+    good, bad = ["stop", "tale", "mane", "part"], ["post", "late", "name", "trap"]
+    docs = spark.createDataFrame([(i, make(good if i % 2 else bad), i % 2) for i in range(400)], "doc_id long, text string, quality int")
+    held = quality.classify(docs, quality.train(docs, docs.select("doc_id", "quality"))).where(quality.held_out(F.col("row.doc_id"))).collect()
+    assert len(held) > 50 and all((h.score >= 0.5) == bool(h["row"]["quality"]) for h in held)
+
+
+def test_quality_odd_rows(spark):
+    long = " ".join(VOCABULARY) * 2_000
+    data = [(1, "a b c", "x"), (1, "a b c", "x"), (2, long, "x"), (3, None, "x"), (4, " \t", "x"), (None, "a b c", "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, score string").withColumn("label", F.lit("clash")).withColumn("row", F.lit("clash"))
+    got = quality.classify(docs, quality.train(docs, spark.createDataFrame([(1, 1), (2, 0), (1, 1)], "doc_id long, quality int"))).collect()
+    assert len(got) == 6 and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if r["row"]["text"] == "a b c"}) == 1
+    assert {r["row"]["row"] for r in got} == {"clash"}
+
+
+def test_quality_of_given_documents_on_labels_it_never_saw(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
+    got = quality.classify(docs.join(labels.select("doc_id").distinct(), "doc_id"), quality.train(docs, labels), carry=["doc_id"]).select("row.doc_id", "score").collect()
+    held = [(r.score, known[r.doc_id]) for r in got if r.doc_id in known and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    good, bad = np.array([s for s, y in held if y]), np.array([s for s, y in held if not y])
+    auc = np.mean(good[:, None] > bad) + np.mean(good[:, None] == bad) / 2
+    assert len(held) > 500 and auc > 0.99 and np.mean([(s >= 0.3) == bool(y) for s, y in held]) > 0.97
+
+
 # 4 near duplicates
 
 
