@@ -438,6 +438,16 @@ def test_nearest_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_neighbours_of_every_length(spark):
+    r = np.random.default_rng(5)
+    data = [(i, r.normal(size=6 if i % 2 else 9).astype(np.float32).tolist(), "clash") for i in range(200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, node string")
+    got = neighbours.nearest(df, df.where("vec_id < 20"), 7).collect()
+    for q in range(20):
+        same = sorted((-float(np.dot(np.array(v, np.float64), np.array(data[q][1], np.float64))), i) for i, v, _ in data if i != q and i % 2 == q % 2)[:7]
+        assert [(x.vec_id, x.rank) for x in sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)] == [(i, n + 1) for n, (_, i) in enumerate(same)]
+
+
 def test_embedding_dedup(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 128)
     monkeypatch.setattr(embedding_dedup, "LEAF", 32)
