@@ -4,13 +4,15 @@ Rebuilt are the normaliser (compiled character map, extra white space, dummy pre
 that BPE scores stand for, and byte fallback. Batches are encoded and decoded by several threads.
 
 Where no piece has the marker after another character, no merge goes over a marker's left side, so texts are split there first and the
-library's cache of words applies; the ids are the same.
+library's cache of words applies; the ids are the same. For the same reason a long text is encoded in runs of about RUN characters, cut at
+single spaces between ASCII letters or digits, where no normalisation reaches over; its ids are those of its runs in a row.
 
 A unigram model of the tokenizers library matches any piece in text. Unknown, control and unused pieces are renamed so that no text holds
 them; byte pieces need their names, so texts whose normal form has one written out ("<0x41>") are encoded by the sentencepiece library.
 
-Defined cases: a null or empty text has no ids and decodes to an empty text; control pieces are never produced; repeated rows are encoded
-each; an empty table gives an empty result; input columns come back inside `row`.
+Defined cases: a null or empty text has no ids and decodes to an empty text; control pieces are never produced; texts of any length are
+encoded whole, in bounded memory where they have places to cut; repeated rows are encoded each; an empty table gives an empty result; input
+columns come back inside `row`.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import words as W
+from quern.llm.packing import trim
 from quern.session import ship
 
+#: Bytes of text encoded at a time, and characters of a text's runs: the library's records of a text take some 50 times its bytes.
+PIECE, RUN = 256 << 10, 64 << 10
+_CUT = re.compile("(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 MARK = "▁"
 _WRITTEN_BYTE = re.compile("<0x[0-9A-F]{2}>")
 #: Kinds of pieces, and of models, in the public protobuf definition.
@@ -111,6 +117,11 @@ def merges(m: Model) -> list[tuple[str, str]]:
     return [(p[:i], p[i:]) for p in ranked for i in range(1, len(p)) if p[:i] in score and p[i:] in score]
 
 
+def by_words(m: Model) -> bool:
+    """Whether texts can be cut before words: each word's marker begins a piece, and a text's first word looks like any other."""
+    return m.escape and not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER_DEFINED))
+
+
 def build(data: bytes):
     """The model as a tokenizers.Tokenizer."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -135,7 +146,7 @@ def build(data: bytes):
     if m.escape:
         steps.append(normalizers.Replace(" ", MARK))
     t.normalizer = normalizers.Sequence(steps)
-    if m.escape and not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER_DEFINED)):
+    if by_words(m):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+"), "merged_with_next")
     shown = [decoders.Replace(Regex(f"^{hidden}"), "")] if m.kind == UNIGRAM else []
     t.decoder = decoders.Sequence([*shown, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * m.dummy_prefix])
@@ -161,45 +172,76 @@ def _library(path: str):
 
 
 @functools.cache
-def _byte_pieces(path: str) -> frozenset[int]:
-    """Ids of byte pieces, if text can be taken for them."""
+def _traits(path: str) -> tuple[frozenset[int], bool]:
+    """Ids of byte pieces, if text can be taken for them, and whether texts may be cut into runs."""
     with open(path, "rb") as f:
         m = parse(f.read())
-    return frozenset(i for i, x in enumerate(m.pieces) if x[2] == BYTE) if m.kind == UNIGRAM else frozenset()
+    taken = frozenset(i for i, x in enumerate(m.pieces) if x[2] == BYTE) if m.kind == UNIGRAM else frozenset()
+    return taken, by_words(m) and m.dummy_prefix and not any(kind == USER_DEFINED for _, _, kind in m.pieces)
+
 
+def runs(text: str, cuts: bool = True) -> list[str]:
+    """The text in pieces of at least RUN characters where it has places to cut; the space at a cut belongs to neither."""
+    out, begin = [], 0
+    while cuts and len(text) - begin > RUN and (m := _CUT.search(text, begin + RUN)):
+        out.append(text[begin : m.start()])
+        begin = m.end()
+    out.append(text[begin:])
+    return out
 
-def encoded(path: str, texts: list[str], threads: int) -> list[list[int]]:
+
+def encoded(path: str, texts: list[str], threads: int) -> list[np.ndarray]:
     """Ids of each text."""
-    t, taken = loaded(path, threads), _byte_pieces(path)
-    ids = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    t, (taken, _) = loaded(path, threads), _traits(path)
+    ids = [np.array(e.ids, np.int32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
     if taken:
         for i, x in enumerate(ids):
-            if not taken.isdisjoint(x) and _WRITTEN_BYTE.search(t.normalizer.normalize_str(texts[i])):
-                ids[i] = _library(path).encode(texts[i])
+            if not taken.isdisjoint(x.tolist()) and _WRITTEN_BYTE.search(t.normalizer.normalize_str(texts[i])):
+                ids[i] = np.array(_library(path).encode(texts[i]), np.int32)
     return ids
 
 
 def differences(path: str, texts: list[str]) -> list[int]:
     """Indices of texts that the rebuilt tokenizer encodes unlike the sentencepiece library."""
     want = _library(path).encode(texts, num_threads=1)
-    return [i for i, (a, b) in enumerate(zip(want, encoded(path, texts, 2))) if a != b]
+    return [i for i, (a, x) in enumerate(zip(want, texts)) if a != np.concatenate(encoded(path, runs(x, _traits(path)[1]), 2)).tolist()]
+
+
+def _same(t, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
+    return [a == b for a, b in zip(t.decode_batch([x.tolist() for x in ids], skip_special_tokens=False), texts)]
+
+
+def _in_runs(path: str, t, text: str, cuts: bool, threads: int, check: bool) -> tuple[np.ndarray, bool]:
+    """A text of any length, a few runs at a time: its ids, and whether all runs come back."""
+    ids, same, parts = [], True, runs(text, cuts)
+    for a in range(0, len(parts), 2 * threads):
+        group = parts[a : a + 2 * threads]
+        found = encoded(path, group, threads)
+        same = same and (not check or all(_same(t, found, group)))
+        ids += found
+    return np.concatenate(ids), same
 
 
 def _encode(path: str, threads: int, check: bool, parity: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = loaded(path, threads)
+        t, (_, cuts) = loaded(path, threads), _traits(path)
         for batch in batches:
-            for piece in W.pieces(batch, "text", 2 << 20):
+            for piece in W.pieces(batch, "text", PIECE):
                 texts = [x or "" for x in piece.column("text").to_pylist()]
-                ids = encoded(path, texts, threads)
+                if len(texts) == 1:
+                    found, back = _in_runs(path, t, texts[0], cuts, threads, check)
+                    ids, same = [found], [back]
+                else:
+                    ids = encoded(path, texts, threads)
+                    same = _same(t, ids, texts) if check else []
                 at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, at[-1])
-                columns = [piece.column("row"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+                columns = [piece.column("row"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)))]
                 if check:
-                    columns.append(pa.array([a == b for a, b in zip(t.decode_batch(ids, skip_special_tokens=False), texts)]))
+                    columns.append(pa.array(same, pa.bool_()))
                 if parity:
-                    columns.append(pa.array([a == b for a, b in zip(ids, _library(path).encode(texts, num_threads=threads))], pa.bool_()))
+                    columns.append(pa.array([x.tolist() == y for x, y in zip(ids, _library(path).encode(texts, num_threads=threads))], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, ["row", "ids", *["same"] * check, *["parity"] * parity])
+            trim()
 
     return encode
 
