@@ -1,7 +1,9 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark, merged into maximal removal intervals.
 
-Each task sends its windows' hashes to the part that a second, independent hash names, packed as numpy arrays; the part finds hashes that occur more than
-once and answers each batch with the windows' places; the answers meet their documents again by a 128-bit key of identifier and text.
+Each task sends its windows' hashes to the part that a second, independent hash names, packed as numpy arrays; the part finds hashes that occur
+more than once and answers each batch with the windows' places; the answers meet their documents again by a 128-bit key of identifier and text.
+Hashes are counted inside a batch first: one that occurs there again is known to repeat, so its places stay with the batch and the part gets it
+once, marked. A window that makes up a third of the corpus is then one number for each batch.
 
 Defined cases: a null text has no words; texts shorter than the window keep everything; rows repeated as they are count as other
 places, so their shared windows go from each of them; a null identifier is an identifier like any other; an empty table gives an empty
@@ -46,33 +48,41 @@ def _send(window: int, parts: int):
                 place = first - at[text]
                 second, _ = W.rolling(W.mix(words ^ _SECOND), at, window)
                 part = (second % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                h, text, place = h[order], text[order], place[order]
-                bounds = np.searchsorted(part[order], np.arange(parts + 1))
                 name = xxhash.xxh3_128_hexdigest(keys + h.tobytes())
-                rows = [(int(name[:8], 16) % parts, name, keys, None)]
-                for p in np.flatnonzero(np.diff(bounds)):
+                order = np.argsort(part, kind="stable")
+                h, text, place, part = h[order], text[order], place[order], part[order]
+                order = np.argsort(h, kind="stable")  # equal hashes stay sorted by part
+                same = (h[order[1:]] == h[order[:-1]]) & (part[order[1:]] == part[order[:-1]])
+                again = np.zeros(len(h), bool)
+                again[order[1:]] = same
+                spare = again.copy()  # of a repeated hash, all but the first
+                again[order[:-1]] |= same
+                rows = [(int(name[:8], 16) % parts, name, keys, packed(text[again], place[again]) if again.any() else None)]
+                known, known_part = h[again & ~spare], part[again & ~spare]
+                h, text, place, part = h[~again], text[~again], place[~again], part[~again]
+                bounds, marked = np.searchsorted(part, np.arange(parts + 1)), np.searchsorted(known_part, np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(bounds) + np.diff(marked)):
                     a, b = bounds[p], bounds[p + 1]
-                    new = np.flatnonzero(np.concatenate(([True], text[a + 1 : b] != text[a : b - 1])))
-                    rows.append((p, name, None, packed(h[a:b], place[a:b], np.diff(np.append(new, b - a)), text[a:b][new])))
+                    new = np.flatnonzero(np.concatenate(([True], text[a + 1 : b] != text[a : b - 1]))) if b > a else np.empty(0, np.int64)
+                    rows.append((p, name, None, packed(h[a:b], place[a:b], np.diff(np.append(new, b - a)), text[a:b][new], known[marked[p] : marked[p + 1]])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
     return send
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """The places of windows whose hash occurs more than once in this part, by batch; batches' keys pass through."""
+    """The places of windows whose hash occurs in this part more than once, by batch; batches' keys and what they know by themselves pass through."""
     out, sent = [], []
     for name, keys, data in zip(table.column("batch").to_pylist(), table.column("keys").to_pylist(), table.column("data")):
         if keys is not None:
-            out.append((name, keys, None))
+            out.append((name, keys, data.as_py()))
         else:
             sent.append((name, unpacked(data.as_buffer().to_pybytes())))
     if sent:
-        ordered = np.sort(np.concatenate([x[0] for _, x in sent]))
+        ordered = np.sort(np.concatenate([x[i] for _, x in sent for i in (0, 4, 4)]))
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         del ordered
-        for name, (h, place, counts, texts) in sent if len(again) else ():
+        for name, (h, place, counts, texts, _) in sent if len(again) else ():
             near = np.minimum(np.searchsorted(again, h), len(again) - 1)
             hit = np.flatnonzero(again[near] == h)
             if len(hit):
@@ -86,7 +96,7 @@ def _by_document(table: pa.Table) -> pa.Table:
     for own, data in zip(table.column("keys").to_pylist(), table.column("data").to_pylist()):
         if own is not None:
             keys = np.stack(unpacked(own), 1)
-        else:
+        if data is not None:
             found.append(np.stack([x.astype(np.int64) for x in unpacked(data)], 1))
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("places", pa.binary())])
     if not found:
