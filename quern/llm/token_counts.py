@@ -4,7 +4,10 @@ A task turns a batch of texts into pre-token frequencies by document and sends t
 The part tokenizes each of its distinct pre-tokens once and answers with one sum for each document of a batch; the answers meet the
 batch's documents by the batch's name, a hash of its content. Ids of whole texts are never made.
 
-Defined cases: a null text is empty and has 0 tokens; strings of special tokens inside a text count as one token each, as the library's
+A pre-token that many documents of a batch have is salted: batches deal it to as many parts as it has documents in the batch (to all parts at
+most), each of which tokenizes it once. So a part gets no more of a frequent pre-token than of a rare one: about one document a batch.
+
+Defined cases: a null text is empty and has 0 tokens; texts of any length are counted whole; strings of special tokens inside a text count as one token each, as the library's
 default has it; repeated rows are counted each; an empty table gives an empty result; input columns come back inside `row`.
 """
 
@@ -95,7 +98,6 @@ def _send(path: str, parts: int):
                 key, times = np.unique(np.concatenate(ids) * n + doc, return_counts=True)  # by pre-token, then document
                 token, doc = key // n, key % n
                 strings = [x.encode() for x in numbers]
-                part = np.fromiter((zlib.crc32(x) % parts for x in strings), np.int64, len(strings))
                 sink = pa.BufferOutputStream()
                 rows = pa.RecordBatch.from_arrays([piece.column("row"), pa.array(extra, pa.int64())], ["row", "extra"])
                 with pa.ipc.new_stream(sink, rows.schema) as out:
@@ -104,6 +106,8 @@ def _send(path: str, parts: int):
                 name = xxhash.xxh3_128_hexdigest(kept + b"".join(strings) + key.tobytes() + times.tobytes())
                 sent = [(zlib.crc32(name.encode()) % parts, name, kept, *[None] * 5)]
                 first = np.searchsorted(token, np.arange(len(strings) + 1))
+                salt = zlib.crc32(name.encode()) % np.minimum(np.diff(first), parts)
+                part = (np.fromiter(map(zlib.crc32, strings), np.int64, len(strings)) + salt) % parts
                 order = np.argsort(part, kind="stable")
                 bounds = np.searchsorted(part[order], np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(bounds)):
