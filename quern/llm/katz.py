@@ -5,13 +5,13 @@ ones together. c* = d_r r for counts r up to K, d_r by Good-Turing with Katz's c
 some mass. a(h) makes each context's probabilities sum to exactly 1.
 
 Tasks turn batches of documents into pairs (word, word before) with their documents, and send them, packed, to the part that the word's
-hash names. A part counts its words and pairs, and writes to a partitioned table: sums for each document that need no other part; for
+hash names. A part counts its words and pairs, and writes to a table partitioned by kind: sums for each document that need no other part; for
 each context, how many pairs it has of each count; for each token that backs off, its context and document. A second step, partitioned by
 context, turns those into backoff weights and into sums for the documents that use them. What the discounts depend on are six counts of
 counts a level, summed over all parts. The number of parts follows the input; each holds whole words.
 
 Defined cases: a null text is empty and has one token, its end; a document's first word follows a start mark; words are compared by 64-bit
-hashes; without training documents every token is unknown, N is 0 and the score is 0; repeated rows count each; rows come back inside
+hashes; texts of any length are scored whole; without training documents every token is unknown, N is 0 and the score is 0; repeated rows count each; rows come back inside
 `row`; an empty table gives an empty result.
 """
 
@@ -300,7 +300,7 @@ def scores(docs: DataFrame, text: str = "text", train: Column | None = None, key
     train = ~held_out(F.col(f"`{key}`")) if train is None else train
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     sent = rows.mapInArrow(_send(parts), "part int, batch string, data binary")
-    counts = cut(sent.groupBy("part").applyInArrow(_counted(parts), "kind int, part int, batch string, totals array<long>, data binary"))
+    counts = cut(sent.groupBy("part").applyInArrow(_counted(parts), "kind int, part int, batch string, totals array<long>, data binary"), "kind")
     sums = counts.where(F.col("kind") == TOTALS).select(F.posexplode("totals").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
     constants = Constants([r.n for r in sorted(sums, key=lambda r: r.at)] or [0] * (4 + 2 * K))
     started = rows.where("train").select("train").count()

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes hashed at a time: the temporary arrays take about 40 times as much.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
