@@ -29,7 +29,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class: the one with the smallest doc_id."""
-    found = near_dedup.classes(docs)
+    found = cut(near_dedup.classes(docs))  # both sides of the union read it
     alone = found.where(F.col("class").isNull() | (F.col("class_size") == 1))
     first = found.where((F.col("class_size") > 1) & F.col("row.doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["class"])
     return alone.union(first).select(_columns(docs))
@@ -49,8 +49,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of every document, and whether they decode to its text."""
-    found = sentencepiece.encode(docs, tokenizer_path("piece_bpe_32k.model"), carry=[c for c in docs.columns if c != "text"], check=True)
+    """SentencePiece ids of every document, and whether they decode to its text. Input columns of these names make way for them."""
+    carried = [c for c in docs.columns if c.lower() not in ("text", "ids", "n_ids", "round_trip")]
+    found = sentencepiece.encode(docs, tokenizer_path("piece_bpe_32k.model"), carry=carried, check=True)
     return found.select("row.*", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("same").alias("round_trip"))
 
 
