@@ -118,13 +118,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cells(marks: np.ndarray):
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells, as 32 bits each, of texts whose mark is set."""
+        """Cells of texts whose mark is set."""
         for batch in batches:
             at = batch.column("node").to_numpy().view(U) % U(MARKS)
             batch = batch.take(pa.array(np.flatnonzero(marks[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1))))
             for piece in W.pieces(batch, "text", 2 << 20):
                 cells, at = unit_cells(*W.hashes(piece.column("text")))
-                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((cells >> U(32)).astype(np.uint32).view(np.int32)))], ["node", "cells"])
+                yield pa.RecordBatch.from_arrays([piece.column("node"), _lists(cells, at)], ["node", "cells"])
 
     return cells_of
 
@@ -192,7 +192,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, at = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
         out = [(int(nodes[i]), int(nodes[j]), None, None, None, None) for i, j in _similar(cells, at, group)]
         if first("blocks") > 1:
-            out.append((None, None, first("band"), first("block"), first("blocks"), packed(nodes.view(U), group.view(U), at, cells.astype(np.int64) + (1 << 31))))
+            out.append((None, None, first("band"), first("block"), first("blocks"), packed(nodes.view(U), group.view(U), at, cells.view(U))))
         return out
 
     def rows_of(done: list[tuple]) -> pa.RecordBatch:
@@ -232,7 +232,7 @@ def linked(rows: DataFrame) -> DataFrame:
     ends = members.groupBy("band").agg(F.min(F.struct("order", "node")).alias("leader"), F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
     members = cut(members.join(ends.select("band", F.col("leader.node").alias("leader")), "band"))
     wanted = cut(members.select("node").distinct())
-    cells = rows.select("node", "text").mapInArrow(_cells(_marks(wanted)), "node long, cells array<int>")
+    cells = rows.select("node", "text").mapInArrow(_cells(_marks(wanted)), "node long, cells array<long>")
     cells = cut(cells.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     sims = _compared(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")), cells)
     label = cut(components(sims.where(F.col("sim") >= SIMILARITY)))
