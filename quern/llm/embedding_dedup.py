@@ -27,6 +27,8 @@ from quern.llm.vectors import lengths, matrix, usable
 from quern.session import cut, parts_for, ship
 
 BLOCK, LEAF, DIMENSIONS, SAMPLE = 4096, 512, 6, 20_000
+#: Blocks meet on the cells of so many leading dimensions that none goes to more cells than this (one dimension at least).
+CELLS = 1024
 #: Distances are compared with this much to spare, so that rounding skips nothing.
 SPARE = 1e-6
 _BLOCKS = "block long, low array<double>, high array<double>, nodes binary, times binary, points binary, vectors binary"
@@ -160,7 +162,7 @@ def _join(cosine: float, epsilon: float):
 
 def joined(vectors: DataFrame, cosine: float) -> DataFrame:
     """vectors: node, times, vector (different vectors of one length). Returns rows (node, null, links) and (node, node, null), as _join says."""
-    epsilon = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    epsilon = float(np.sqrt(max(1e-6, 2 - 2 * cosine)))  # a wider one only skips less
     axis = axes(vectors)
     cells = vectors.select("node", "times", "vector").mapInArrow(_project(axis, epsilon), T.StructType([*vectors.select("node", "times", "vector").schema, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
     order = [F.col("cells")[i].alias(f"c{i}") for i in range(axis.shape[1])]
@@ -168,10 +170,13 @@ def joined(vectors: DataFrame, cosine: float) -> DataFrame:
     blocks = cut(sorted_.select("node", "times", "vector").mapInArrow(_pack(axis), _BLOCKS))
     box = blocks.select("block", "low", "high")
     cell = lambda x: F.floor(x / epsilon).cast("long")
-    left = box.withColumn("cell", F.explode(F.sequence(cell(F.col("low")[0]), cell(F.col("high")[0]) + 1)))
-    right = box.select(F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2")).withColumn("cell", F.explode(F.sequence(cell(F.col("low2")[0]), cell(F.col("high2")[0]) + 1)))
+    left, right = box, box.select(F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    meet = [f"cell{i}" for i in range(min(axis.shape[1], max(1, int(np.log(CELLS) / np.log(2 / epsilon + 2)))))]
+    for i, c in enumerate(meet):  # a cell and the next one on each side: neighbours share one on every dimension
+        left = left.withColumn(c, F.explode(F.sequence(cell(F.col("low")[i]), cell(F.col("high")[i]) + 1)))
+        right = right.withColumn(c, F.explode(F.sequence(cell(F.col("low2")[i]), cell(F.col("high2")[i]) + 1)))
     gap = F.aggregate(F.arrays_zip("low", "high", "low2", "high2"), F.lit(0.0), lambda s, x: s + F.pow(F.greatest(F.lit(0.0), x["low"] - x["high2"], x["low2"] - x["high"]), F.lit(2)))
-    pairs = left.join(right, "cell").where(F.col("block") <= F.col("block2")).where(gap <= (epsilon + SPARE) ** 2).select("block", "block2").distinct()
+    pairs = left.join(right, meet).where(F.col("block") <= F.col("block2")).where(gap <= (epsilon + SPARE) ** 2).select("block", "block2").distinct()
     wide = 4 if vectors.schema["vector"].dataType.elementType == T.FloatType() else 8
     other = blocks.select(*[F.col(c).alias(c + "2") for c in ("block", "nodes", "times", "points", "vectors")])
     both = pairs.join(blocks.drop("low", "high"), "block").join(other, "block2").withColumn("width", F.lit(wide))
