@@ -29,7 +29,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class: the one with the smallest doc_id."""
-    found = cut(near_dedup.classes(docs))  # both sides of the union read it
+    found = near_dedup.classes(docs)  # its classes are written; a table of its rows would hold every text until the application ends
     alone = found.where(F.col("class").isNull() | (F.col("class_size") == 1))
     first = found.where((F.col("class_size") > 1) & F.col("row.doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["class"])
     return alone.union(first).select(_columns(docs))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import cut
+from quern.session import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long; loops and repeats allowed). Returns node, component (its smallest node) for every node that isn't its component's smallest.
 
     The steps keep connectivity and end with stars; nulls are dropped; no edges give no rows. Each step's edges are written to the shared
-    folder, so a lost executor costs one step at most.
+    folder, so a lost executor costs one step at most, and deleted when the next step's are written.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
@@ -23,5 +23,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
         roots = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(roots, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.union(roots.select("a", F.col("m").alias("b"))).distinct())
+        before, e = e, cut(small.union(roots.select("a", F.col("m").alias("b"))).distinct())
+        drop(before, large)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from quern.llm import words as W
 from quern.llm.components import components
 from quern.llm.packing import packed, unpacked
-from quern.session import cut, input_bytes, ship
+from quern.session import cut, drop, input_bytes, ship
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 24
@@ -139,8 +139,7 @@ def _marks(nodes: DataFrame) -> np.ndarray:
 
 
 def _compared(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Different pairs (a, b), a below b, with their similarity; 0 where sizes alone keep it below what matters."""
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    """pairs: different (a, b), a below b. Returns them with their similarity; 0 where sizes alone keep it below what matters."""
     x = cells.select(F.col("node").alias("a"), F.col("cells").alias("x"))
     y = cells.select(F.col("node").alias("b"), F.col("cells").alias("y"))
     if input_bytes(pairs) < FEW:  # few enough to go to the cells
@@ -234,7 +233,8 @@ def linked(rows: DataFrame) -> DataFrame:
     wanted = cut(members.select("node").distinct())
     cells = rows.select("node", "text").mapInArrow(_cells(_marks(wanted)), "node long, cells array<long>")
     cells = cut(cells.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    sims = _compared(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")), cells)
+    led = cut(members.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    sims = _compared(led, cells)
     label = cut(components(sims.where(F.col("sim") >= SIMILARITY)))
     named = cut(members.select("band", "node").join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("class")))
     several = named.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
@@ -246,7 +246,9 @@ def linked(rows: DataFrame) -> DataFrame:
     other = one.select("band", F.col("block").alias("block2"), F.col("data").alias("data2"))
     pairs = one.withColumn("block2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block")))).join(other, ["band", "block2"]).where("block2 < block")
     links = found.where("a is not null").select("a", "b").union(pairs.select("data", "data2").mapInArrow(_between, "a long, b long"))
-    return components(links.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    both = components(links.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    drop(signed, members, wanted, cells, led, label, named, found)  # components() has written what it returns
+    return both
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
