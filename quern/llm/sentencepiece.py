@@ -207,17 +207,46 @@ def differences(path: str, texts: list[str]) -> list[int]:
     return [i for i, (a, x) in enumerate(zip(want, texts)) if a != np.concatenate(encoded(path, runs(x, _traits(path)[1]), 2)).tolist()]
 
 
-def _same(t, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
+@functools.cache
+def _spelled(path: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The bytes that a BPE model's pieces stand for, in a row, and where each begins (one more for the end); None for other models."""
+    with open(path, "rb") as f:
+        m = parse(f.read())
+    if m.kind != BPE or not m.dummy_prefix or any(kind == USER_DEFINED for _, _, kind in m.pieces):
+        return None
+    spelled = [bytes([int(p[3:5], 16)]) if _WRITTEN_BYTE.fullmatch(p) else p.replace(MARK, " ").encode() for p, _, _ in m.pieces]
+    return np.frombuffer(b"".join(spelled), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in spelled])))
+
+
+def _decoded_same(t, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
     return [a == b for a, b in zip(t.decode_batch([x.tolist() for x in ids], skip_special_tokens=False), texts)]
 
 
+def _same(path: str, t, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
+    """Whether ids decode to their texts. Where the pieces' bytes are the text's after one space, the decoder gives the text too: what lies
+    between whole pieces of valid UTF-8 is valid. All other texts are decoded."""
+    if (spelled := _spelled(path)) is None:
+        return _decoded_same(t, ids, texts)
+    data, begins = spelled
+    every = np.concatenate(ids)
+    sizes = begins[every + 1] - begins[every]
+    ends = np.cumsum(sizes)
+    found = data[np.repeat(begins[every] - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes()
+    at = np.concatenate(([0], ends))[np.cumsum([0, *map(len, ids)])].tolist()
+    same = [found[a:b] == b" " + x.encode() for a, b, x in zip(at, at[1:], texts)]
+    rest = [i for i, ok in enumerate(same) if not ok]
+    for i, ok in zip(rest, _decoded_same(t, [ids[i] for i in rest], [texts[i] for i in rest])):
+        same[i] = ok
+    return same
+
+
 def _in_runs(path: str, t, text: str, cuts: bool, threads: int, check: bool) -> tuple[np.ndarray, bool]:
     """A text of any length, a few runs at a time: its ids, and whether all runs come back."""
     ids, same, parts = [], True, runs(text, cuts)
     for a in range(0, len(parts), 2 * threads):
         group = parts[a : a + 2 * threads]
         found = encoded(path, group, threads)
-        same = same and (not check or all(_same(t, found, group)))
+        same = same and (not check or all(_same(path, t, found, group)))
         ids += found
     return np.concatenate(ids), same
 
@@ -233,7 +262,7 @@ def _encode(path: str, threads: int, check: bool, parity: bool):
                     ids, same = [found], [back]
                 else:
                     ids = encoded(path, texts, threads)
-                    same = _same(t, ids, texts) if check else []
+                    same = _same(path, t, ids, texts) if check else []
                 at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 columns = [piece.column("row"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)))]
                 if check:

@@ -623,3 +623,19 @@ def test_repeated_windows(docs, rows, empty, window):
     assert Counter((r["row"]["doc_id"], r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got) == want
     assert all(sum(b.end - b.begin for b in r.removed) == r.n_removed for r in got)
     assert substring_dedup.remove_repeats(empty, window=window).count() == 0
+
+
+def test_round_trips_by_bytes_agree_with_the_decoder(monkeypatch):
+    from quern.llm import queries, sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    t = sentencepiece.loaded(path, 2)
+    plain = ["", " ", "  a", "a", "A text, two words.", "日本語 😀 é́", "\x00﻿�", "<0x41> <unk>", "a\tb\n", ""]
+    marked = ["▁", "▁a", "a▁b", "▁▁ ▁"]
+    ids = sentencepiece.encoded(path, plain + marked, 2)
+    want = sentencepiece._decoded_same(t, ids, plain + marked)
+    decoded = []
+    monkeypatch.setattr(sentencepiece, "_decoded_same", lambda t, ids, texts: decoded.extend(texts) or [x == y for x, y in zip(t.decode_batch([i.tolist() for i in ids], skip_special_tokens=False), texts)])
+    assert sentencepiece._same(path, t, ids, plain + marked) == want == [True] * len(plain) + [False] * len(marked)
+    assert not set(decoded) & (set(plain) - {""})
+    assert sentencepiece._same(path, t, ids[1:] + ids[:1], plain + marked) == sentencepiece._decoded_same(t, ids[1:] + ids[:1], plain + marked)
