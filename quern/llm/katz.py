@@ -5,9 +5,9 @@ ones together. c* = d_r r for counts r up to K, d_r by Good-Turing with Katz's c
 some mass. a(h) makes each context's probabilities sum to exactly 1.
 
 Tasks turn batches of documents into pairs (word, word before) with their documents, and send them, packed, to the part that the word's
-hash names. A part counts its words and pairs, and writes to a table partitioned by kind: sums for each document that need no other part; for
-each context, how many pairs it has of each count; for each token that backs off, its context and document. A second step, partitioned by
-context, turns those into backoff weights and into sums for the documents that use them. What the discounts depend on are six counts of
+hash names. A part counts its words and pairs, and writes to a table partitioned by who reads it: sums for each document that need no other
+part; for each context, how many pairs it has of each count; for each token that backs off, its context and document. A second step,
+partitioned by context, turns those into backoff weights and into sums for the documents that use them. What the discounts depend on are six counts of
 counts a level, summed over all parts. The number of parts follows the input; each holds whole words.
 
 Defined cases: a null text is empty and has one token, its end; a document's first word follows a start mark; words are compared by 64-bit
@@ -40,6 +40,9 @@ _STEP = U(0x9E3779B97F4A7C15)
 _SENT = pa.schema([("part", pa.int32()), ("batch", pa.string()), ("data", pa.binary())])
 #: Kinds of rows in the table of counts.
 SUMS, CONTEXTS, BACKOFFS, TOTALS, ROWS = range(5)
+#: The table's partitions: what the next step weighs, totals for the driver among it, and what waits for the last one. Executors fork a process
+#: three times for each file that they write, and while one forks, what its JVM holds may be counted twice: so few files, few tasks for the result.
+WEIGHED = (CONTEXTS, BACKOFFS, TOTALS)
 _TABLE = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("batch", pa.string()), ("totals", pa.list_(pa.int64())), ("data", pa.binary())])
 _FLOATS = 2 + 2 * K + 3  # of a document's sums: two logarithms, discounted pairs by count, backed-off words by count, backed off, unknown, known
 
@@ -300,11 +303,12 @@ def scores(docs: DataFrame, text: str = "text", train: Column | None = None, key
     train = ~held_out(F.col(f"`{key}`")) if train is None else train
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     sent = rows.mapInArrow(_send(parts), "part int, batch string, data binary")
-    counts = cut(sent.groupBy("part").applyInArrow(_counted(parts), "kind int, part int, batch string, totals array<long>, data binary"), "kind")
-    sums = counts.where(F.col("kind") == TOTALS).select(F.posexplode("totals").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
+    found = sent.groupBy("part").applyInArrow(_counted(parts), "kind int, part int, batch string, totals array<long>, data binary")
+    counts = cut(found.withColumn("weighed", F.col("kind").isin(*WEIGHED)), "weighed")
+    sums = counts.where(F.col("weighed") & (F.col("kind") == TOTALS)).select(F.posexplode("totals").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
     constants = Constants([r.n for r in sorted(sums, key=lambda r: r.at)] or [0] * (4 + 2 * K))
     started = rows.where("train").select("train").count()
-    more = counts.where(F.col("kind").isin(CONTEXTS, BACKOFFS)).select("part", "kind", "batch", "data").groupBy("part").applyInArrow(_weighted(constants), "kind int, batch string, data binary")
-    both = counts.where(F.col("kind").isin(SUMS, ROWS)).select("kind", "batch", "data").union(more)
+    more = counts.where(F.col("weighed") & (F.col("kind") != TOTALS)).select("part", "kind", "batch", "data").groupBy("part").applyInArrow(_weighted(constants), "kind int, batch string, data binary")
+    both = counts.where(~F.col("weighed")).select("kind", "batch", "data").union(more).repartition(max(8, parts // 3), "batch")
     out = T.StructType([rows.schema["row"], *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")])
     return both.groupBy("batch").applyInArrow(_gathered(constants, started), out)

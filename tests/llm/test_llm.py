@@ -397,6 +397,16 @@ def test_katz(docs, rows, spark, empty):
     assert {(r.n_known, r.train_tokens, r.score) for r in none} == {(0, 0, 0.0)}
 
 
+def test_katz_writes_two_files_a_task_and_few_for_its_result(docs, monkeypatch):
+    tables, cut = [], katz.cut
+    monkeypatch.setattr(katz, "cut", lambda df, *by: tables.append(cut(df, *by)) or tables[-1])
+    monkeypatch.setattr(katz, "parts_for", lambda *_: 60)
+    out = katz.scores(docs)
+    files = Counter(name.rsplit("/", 1)[1].split("-")[1] for name in tables[0].inputFiles())
+    assert max(files.values()) <= 2  # one for each kind of row before
+    assert out.rdd.getNumPartitions() <= 20 and out.count() == docs.count()  # 60 / 3; what the optimizer made of 200 before
+
+
 # 6, 7 embeddings
 
 
